@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PARTS = ("relational", "text", "search", "vectors", "incremental")
+_PARTS = ("search",)
 
 
 def _parts():
