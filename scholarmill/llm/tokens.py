@@ -35,8 +35,15 @@ _PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 _UNUSUAL = re.compile("[^\t-\r\x20-\x7e\x80-ʯ‐-‧‰-⁞₠-₿]")
 
 
+_ALL, _STEP, _M1, _M2 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
 class PerfectHash:
-    """Hash-and-displace minimal perfect hash: n keys onto n slots."""
+    """Hash-and-displace minimal perfect hash: n keys onto n slots.
+
+    Each displacement mixes a key's hash anew (a bijection of 64 bits), so that no key
+    is confined to a cycle of slots, in which the search for a free place could not end.
+    """
 
     def __init__(self, keys: list[bytes]):
         n = self.n = len(keys)
@@ -44,7 +51,6 @@ class PerfectHash:
         h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
         assert len(np.unique(h)) == n, "keys must be different"
         bucket = (h % np.uint64(self.buckets)).astype(np.int64)
-        first, step = (h >> np.uint64(16)) % np.uint64(n), (h >> np.uint64(40)) % np.uint64(max(1, n - 1)) + np.uint64(1)
         order = np.argsort(bucket, kind="stable")
         start = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         self.shift = np.zeros(self.buckets, dtype=np.int64)
@@ -57,7 +63,10 @@ class PerfectHash:
                 continue
             for base in itertools.count(0, 256):
                 d = np.arange(base, base + 256, dtype=np.uint64)
-                at = ((first[own][:, None] + d[None, :] * step[own][:, None]) % np.uint64(n)).astype(np.int64)
+                x = h[own][:, None] + d[None, :] * np.uint64(_STEP)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(_M1)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(_M2)
+                at = ((x ^ (x >> np.uint64(31))) % np.uint64(n)).astype(np.int64)
                 s = np.sort(at, axis=0)
                 good = free[at].all(axis=0) & (s[1:] != s[:-1]).all(axis=0)
                 if good.any():
@@ -76,8 +85,10 @@ class PerfectHash:
         d = self.shift[h % self.buckets]
         if d < 0:
             return -1 - d
-        n = self.n
-        return ((h >> 16) % n + d * ((h >> 40) % max(1, n - 1) + 1)) % n
+        x = (h + d * _STEP) & _ALL
+        x = ((x ^ (x >> 30)) * _M1) & _ALL
+        x = ((x ^ (x >> 27)) * _M2) & _ALL
+        return (x ^ (x >> 31)) % self.n
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
