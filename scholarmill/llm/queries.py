@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarmill.llm import tokens
+from scholarmill.llm import best, tokens
 from scholarmill.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hit that gives each field of each group its best value."""
+    return best.found(table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "hit_groups"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every row of documents."""
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids}
+QUERIES = {"p5_found": p5_found, "p8_ids": p8_ids}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
