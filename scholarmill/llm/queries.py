@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarmill.llm import best, tokens
+from scholarmill.llm import best, leaks, tokens
 from scholarmill.session import table
 
 
@@ -20,7 +20,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of an evaluation item."""
+    return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
