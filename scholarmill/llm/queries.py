@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarmill.llm import best, leaks, tokens
+from scholarmill.llm import best, leaks, residue, tokens
 from scholarmill.session import table
 
 
@@ -15,6 +15,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.found(table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "hit_groups"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached articles without an article."""
+    return residue.found(table(spark, sf_dir, "cached_articles"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every row of documents."""
     return tokens.encode(table(spark, sf_dir, "documents"))
@@ -25,7 +30,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
