@@ -39,7 +39,7 @@ MESSAGE = re.compile(
     r"|unable to service|unavailable|nicht erreichbar|indisponible|no disponible|maintenance|wartungsarbeiten|mantenimiento|outage|be back shortly"
     r"|javascript|noscript|scripting|and scripts must|enable cookies|does not support|newer viewer|loaded dynamically|rendering page"
     r"|verify that you|you are a human|captcha|security check|unusual traffic|is being checked|one moment|select every|process is automatic|too many (?:requests|connections)"
-    r"|moved or withdrawn|may be out of date|try again|wait and retry|problem persists|help desk|go back|return to the home|zurück zur startseite|retour à l.accueil|volver al inicio|redirecting|incident number|^\W*reference: \w|^\W*ray [0-9a-f]+|forgot password|remember me"
+    r"|moved or withdrawn|may be out of date|try again|wait and retry|problem persists|help desk|please wait|failed to load|being (?:prepared|loaded)|go back|return to the home|zurück zur startseite|retour à l.accueil|volver al inicio|redirecting|incident number|^\W*reference: \w|^\W*ray [0-9a-f]+|forgot password|remember me"
     r"|traceback|exception\b|\w+error:|^warning:|^fatal error|undefined function|\bora-\d|^\s*at [\w.$]+\(|^\s*file \"/|this page is blank|page intentionally"
 )
 FURNITURE = re.compile(
@@ -51,20 +51,21 @@ FILLER = frozenset(
     "vero iusto autem facere vitae porro harum fugit eaque minus quos sequi optio ratione velum dicta animi modi soluta ullam illum natus quasi rerum cumque".split()
 )
 _END = re.compile(r"[.!…][\"'”»)\]]*\s*$")
-_MARK = re.compile(r"[{}\[\]$@#_<&]|%[%>}(]|TODO|TBD|NaN|null|undefined|[Tt]ype |[Ee]nter |[Ii]nsert |[Rr]eplace |[Ss]ample |[Dd]ummy |[Pp]laceholder|[Ll]orem|[Aa]uthor name")
+_MARK = re.compile(r"[{}\[\]$@#_<&]|%[%>}(]")
 
 
 #: Each alternative of MESSAGE and FURNITURE has one of these words; the rules run only where one occurs.
 _CUES = frozenset(
     "error erreur fehler http gateway found gefunden introuvable encontrado encontrada permission access accès acceso gestattet forbidden unauthorized unauthorised subscribers read view see log logged session unable unavailable erreichbar indisponible disponible maintenance wartungsarbeiten mantenimiento outage shortly "
-    "javascript noscript scripting scripts support viewer dynamically rendering verify human captcha security traffic checked moment select process requests connections moved date again retry persists help back home startseite accueil inicio redirecting incident reference ray password remember traceback exception warning function ora file page blank at "
+    "javascript noscript scripting scripts viewer dynamically rendering verify human captcha security traffic checked moment select automatic requests connections moved date try retry wait failed prepared loaded persists help back home startseite accueil inicio redirecting incident reference ray password remember traceback exception warning undefined ora file page blank support "
     "cookie cookies privacy reserved vorbehalten réservés reservados email institutional zugang fourni ofrecido registered behalf newsletter updated powered issn rights nullpointerexception".split()
 )
+_PLACE_CUES = frozenset("todo tbd fixme nan null type enter insert replace sample dummy placeholder lorem author undefined".split())
 
 
-def is_message(s: str, cued: bool = True) -> bool:
-    """Whether phrase or placeholder rules take a sentence for residue."""
-    return bool((_MARK.search(s) and PLACEHOLDER.search(s)) or (cued and MESSAGE.search(s.lower())))
+def is_message(s: str) -> bool:
+    """Whether phrase or placeholder rules take a line or sentence for residue."""
+    return bool(PLACEHOLDER.search(s) or MESSAGE.search(s.lower()))
 
 
 def content(s: str) -> bool:
@@ -77,8 +78,10 @@ def content(s: str) -> bool:
     common = sum(x in lines.COMMON for x in w)
     if common < max(1, COMMON_SHARE * len(w)) or sum(x in FILLER for x in w) > FILLER_SHARE * len(w):
         return False
-    cued = not _CUES.isdisjoint(w) or s.lstrip()[:1] in "45"
-    return not is_message(s, cued) and not (cued and FURNITURE.search(s.lower()))
+    if (_MARK.search(s) or not _PLACE_CUES.isdisjoint(w)) and PLACEHOLDER.search(s):
+        return False
+    low = s.lower() if not _CUES.isdisjoint(w) or s.lstrip()[:1] in "45" else ""
+    return not (low and (MESSAGE.search(low) or FURNITURE.search(low)))
 
 
 def _parts(articles: DataFrame, id_col: str) -> DataFrame:
