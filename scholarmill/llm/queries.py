@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarmill.llm import best, leaks, residue, tokens
+from scholarmill.llm import best, leaks, pages, residue, tokens
 from scholarmill.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of web pages that are not their article's own."""
+    articles = table(spark, sf_dir, "cached_articles")
+    return pages.found(articles, residue.found(articles))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hit that gives each field of each group its best value."""
     return best.found(table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "hit_groups"))
@@ -30,7 +36,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
