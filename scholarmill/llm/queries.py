@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarmill.llm import best, leaks, pages, residue, tokens
+from scholarmill.llm import best, leaks, pages, residue, spam, tokens
 from scholarmill.session import table
 
 
@@ -36,7 +36,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of keywords, links or product tags."""
+    return spam.found(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
