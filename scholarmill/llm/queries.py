@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarmill.llm import best, leaks, pages, residue, spam, tokens
+from scholarmill.llm import best, leaks, linkage, pages, residue, spam, tokens
 from scholarmill.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and catalogue records of the same work."""
+    return p3_matches(spark, sf_dir).select("hit_id", "rec_id")
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and catalogue records of the same work, each pair with its confidence."""
+    return linkage.matches(table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "catalog_records"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of web pages that are not their article's own."""
     articles = table(spark, sf_dir, "cached_articles")
@@ -41,7 +51,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.found(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
