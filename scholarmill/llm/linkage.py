@@ -2,9 +2,10 @@
 
 Titles, people, years and identifiers of both sides are brought into one form. Several blocking
 passes make candidates: pairs of a title's rarest words, the tail of the identifier, and a
-surname with the year and an early title word. A block larger than LARGE is cut by surname and
-year, and nothing is dropped from it that agrees in one of them. Each candidate pair gets an
-agreement level per attribute; expectation-maximisation over the counts of level patterns gives
+surname with the year and an early title word. A block of more than LARGE pairs is split by keys
+of which every pair that the exact check below allows has one in common, so it loses no link:
+first and third title word, or the letters of the title, with room for slips; people and year
+of short titles; the end of the identifier. Each candidate pair gets an agreement level per attribute; expectation-maximisation over the counts of level patterns gives
 the match and non-match probabilities, and the posterior of a pattern is the confidence of its
 pairs. An exact check follows: part, reply and follow-up marks of the two titles must be equal,
 and titles of one or two words need an author and a year, or an identifier, in common.
@@ -15,6 +16,7 @@ repeated rows each link; an empty table gives no link; further columns are not r
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -41,6 +43,8 @@ _LEAD = re.compile(r"^\s*(?:\[[^\]]{1,24}\]|(?:article|paper|preprint|pdf|book c
 _TAIL = re.compile(r"\s*(?:\[[^\]]{1,24}\]|\((?:offprint|preprint|reprint|online|electronic resource|e-?book)\)|:\s*(?:preprint|offprint|reprint)|[.…]+)\s*$", re.I)
 _MARK = re.compile(r"\s*[:,.(–-]*\s*\b(part|teil|partie|parte|vol\.?|volume)\s+(\d+|[ivx]+)\)?$|\s*[:,.(–-]*\s*\b(an? (?:second |third |final |short )?(?:reply|report|rejoinder|response|comment|follow-?up|correction|erratum)|a (?:second|third|final|further) \w+)\)?$|\s+(revisited with .+)$")
 _FIRST = re.compile(r"^(correction to|erratum|corrigendum|letter|reply to|review|comment on|response to|addendum)\s*:?\s+")
+#: Every title with a mark or a first word of its kind has one of these.
+_MARKED = re.compile(r"part|teil|vol|reply|report|rejoinder|response|comment|follow|correction|erratum|second|third|final|further|revisited")
 _BY = re.compile(r"\s/\s(.+)$")
 _WORD = re.compile(r"[^\W_]+")
 _YEAR = re.compile(r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)")
@@ -52,6 +56,8 @@ _ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6"}
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
@@ -64,12 +70,14 @@ def title_of(raw: str | None) -> tuple[list[str], str, str]:
     t = _LEAD.sub("", t)
     cut_off = t.endswith(("…", "..."))
     for _ in range(3):
+        if t[-1:].isalnum() and t[-1] not in "tT":
+            break
         t = _TAIL.sub("", t)
     t = " ".join(fold(t).split())
     mark = ""
     if m := _FIRST.match(t):
         mark, t = m[1], t[m.end() :]
-    if not cut_off:
+    if not cut_off and _MARKED.search(t):
         for _ in range(2):
             if m := _MARK.search(t):
                 kind = "part" + _ROMAN.get(m[2], m[2]) if m[1] else m[3] or m[4]
@@ -77,6 +85,7 @@ def title_of(raw: str | None) -> tuple[list[str], str, str]:
     return _WORD.findall(t), mark + ("…" if cut_off else ""), by
 
 
+@functools.lru_cache(1 << 16)
 def person(raw: str) -> str:
     """Words of three letters or more of a name, and its initials behind a bar."""
     words = [w for w in _WORD.findall(fold(raw)) if not w.isdigit()]
@@ -141,6 +150,7 @@ def title_level(a: list[str], b: list[str], cut_off: bool) -> int:
     return 1
 
 
+@functools.lru_cache(1 << 16)
 def same_person(p: str, q: str) -> bool:
     (a, i), (b, j) = p.split("|"), q.split("|")
     hit = [x for x in a.split() if any(same_word(x, y) for y in b.split())]
@@ -197,11 +207,11 @@ def fit(counts: np.ndarray) -> np.ndarray:
     return post.ravel()
 
 
-_FORM = "id bigint, words array<string>, mark string, people array<string>, year int, tail string"
+_FORM = "id bigint, words string, mark string, people string, year int, tail string"
 
 
 def _forms(rows: DataFrame, catalogue: bool) -> DataFrame:
-    """Rows of (id, title, names, year, identifier) in one form."""
+    """Rows of (id, title, names, year, identifier) in one form; words are joined by blanks, people by semicolons."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,9 +220,9 @@ def _forms(rows: DataFrame, catalogue: bool) -> DataFrame:
                 words, mark, by = title_of(title)
                 if catalogue:
                     names = [x for x in _SPLIT.split(names or by) if x.strip()]
-                out.append((i, words, mark, people_of([x for x in names or () if x]), year_of(year), tail_of(ident)))
+                out.append((i, " ".join(words), mark, ";".join(people_of([x for x in names or () if x])), year_of(year), tail_of(ident)))
             cols = list(zip(*out)) or [()] * 6
-            kinds = (pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "words", "mark", "people", "year", "tail"])
 
     return cut(rows.mapInArrow(run, _FORM))
@@ -221,20 +231,21 @@ def _forms(rows: DataFrame, catalogue: bool) -> DataFrame:
 def _word_counts(*forms: DataFrame) -> np.ndarray:
     out = np.zeros(COUNTERS, np.int64)
     for f in forms:
-        by = f.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(F.expr(f"pmod(xxhash64(w), {COUNTERS})").cast("int").alias("k")).agg(F.count("*").alias("n"))
+        by = f.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).where("w != ''").groupBy(F.expr(f"pmod(xxhash64(w), {COUNTERS})").cast("int").alias("k")).agg(F.count("*").alias("n"))
         rows = by.toArrow()
         np.add.at(out, rows.column(0).to_numpy(), rows.column(1).to_numpy())
     return out
 
 
 def _keys(form: DataFrame, shared) -> DataFrame:
-    """Blocking keys of each row: (key, surname key, year key, id)."""
+    """Blocking keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
             out = []
             for i, words, slots, people, year, tail in zip(*(c.to_pylist() for c in batch.columns)):
+                words, people = words.split(), people.split(";") if people else []
                 own = {w: counts[s] for w, s in zip(words, slots) if len(w) > 2 and w not in lines.COMMON}
                 rare = sorted(own, key=lambda w: (own[w], w))[:RAREST]
                 own_name = [[w[:5] for w in p.split("|")[0].split()] for p in people[:2]]
@@ -246,29 +257,84 @@ def _keys(form: DataFrame, shared) -> DataFrame:
                     keys += [f"s{' '.join(words)} {s}" for s in names]
                 if tail:
                     keys.append("d" + tail)
-                surname = lines.digest(max(own_name[0], key=len)) if names else 0
-                out += [(lines.digest(k), surname, year, i) for k in dict.fromkeys(keys)]
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["key", "name", "year", "id"])
+                out += [(lines.digest(k), i) for k in dict.fromkeys(keys)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int64())], names=["key", "id"])
 
-    slots = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(COUNTERS)).cast("int"))
-    return form.select("id", "words", slots, "people", "year", "tail").mapInArrow(run, "key bigint, name bigint, year int, id bigint")
+    slots = F.transform(F.split("words", " "), lambda w: F.pmod(F.xxhash64(w), F.lit(COUNTERS)).cast("int"))
+    return form.select("id", "words", slots, "people", "year", "tail").mapInArrow(run, "key bigint, id bigint")
+
+
+def _deletions(word: str) -> set[str]:
+    """What is left of a word without as many letters as ``same_word`` allows slips."""
+    out = last = {word}
+    for _ in range(0 if len(word) < 4 else 1 if len(word) < 9 else 2):
+        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
+        out = out | last
+    return out
+
+
+def _near_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``w, v``: every two words (columns w) of both sides that ``same_word`` may call the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(lines.digest(d), w) for w in batch.column(0).to_pylist() for d in _deletions(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([w for _, w in out], pa.string())], names=["k", "w"])
+
+    of = lambda x: x.where("w is not null").distinct().mapInArrow(run, "k bigint, w string")
+    return cut(of(a).join(of(b).withColumnRenamed("w", "v"), "k").select("w", "v").distinct())
+
+
+def _finer(hits: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, sub`` of both sides: every pair that ``levels`` allows has a sub in common.
+
+    Identifiers that agree have one end. Equal titles but for slips in words, and titles of which
+    one begins the other, have first and third words a slip apart; if they have one or two words,
+    people and years must agree besides. Titles two letters apart when written without blanks
+    have at most one slip in the first twelve letters, or none behind the thirteenth.
+    """
+
+    def parts(form: DataFrame) -> DataFrame:
+        w = F.split("words", " ")
+        names = F.expr("filter(array_distinct(split(people, '[ ;]')), x -> instr(x, '|') = 0 and x != '')")
+        words = form.select("id", "year", "tail", w.alias("all"), F.regexp_replace("people", r"\|[^;]*", "").alias("people"), F.replace("words", F.lit(" "), F.lit("")).alias("x"), F.when(F.col("words") == "", 0).otherwise(F.size(w)).alias("n"))
+        return cut(words.select("id", "year", "tail", "x", "n", F.col("all")[0].alias("w0"), F.coalesce(F.get("all", F.lit(2)), F.lit("")).alias("w2"), names.alias("names")))
+
+    h, r = parts(hits), parts(records)
+    short = lambda x: x.where("n in (1, 2) and year > 0").select("id", "year", F.explode("names").alias("w"))
+    long = lambda x: x.where("n > 2").select("id", "w0", "w2")
+    all_words = lambda x: long(x).select(F.explode(F.array("w0", "w2")).alias("w")).unionByName(short(x).select("w"))
+    near = _near_words(all_words(h), all_words(r))
+    first, third = near.toDF("w0", "v0"), near.toDF("w2", "v2")
+    sub = lambda kind, *c: F.xxhash64(F.lit(kind), *c).alias("sub")
+
+    def common(x: DataFrame, ends: str) -> DataFrame:
+        ends_of = x.where("tail != ''").select("id", sub("tail", F.expr("right(tail, 5)")))
+        begins = "transform(sequence(1, 13), k -> left(concat(left(x, k - 1), substring(x, k + 1, greatest(12 - k, 0))), 11))"
+        letters = x.where("length(x) > 10").select("id", F.explode(F.expr(f"array_distinct(concat(transform({begins}, y -> xxhash64('begin', y)), transform({ends}, k -> xxhash64('end', substring(x, k)))))")).alias("sub"))
+        return ends_of.unionByName(letters)
+
+    a = common(h, "array(14)").unionByName(long(h).join(first, "w0").join(third, "w2").select("id", sub("words", "v0", "v2")))
+    a = a.unionByName(short(h).join(near, "w").select("id", sub("people", "v", "year")))
+    b = common(r, "sequence(12, 16)").unionByName(long(r).select("id", sub("words", "w0", "w2")))
+    b = b.unionByName(short(r).select("id", "w", F.explode(F.expr("sequence(year - 1, year + 1)")).alias("year")).select("id", sub("people", "w", "year")))
+    return a.distinct(), b.distinct()
 
 
 def candidates(hits: DataFrame, records: DataFrame) -> DataFrame:
-    """``hit, rec`` of every pair that shares a block."""
+    """``hit, rec`` of every pair that shares a block, and in a large one a finer key."""
     shared = hits.sparkSession.sparkContext.broadcast(_word_counts(hits, records))
     h, r = cut(_keys(hits, shared)), cut(_keys(records, shared))
     both = h.groupBy("key").agg(F.count("*").alias("a")).join(r.groupBy("key").agg(F.count("*").alias("b")), "key")
-    large = both.where(F.col("a") * F.col("b") > LARGE).select("key", F.lit(True).alias("large"))
-
-    def cut_large(k: DataFrame) -> DataFrame:
-        k = k.join(large, "key", "left")
-        small = k.where("large is null").select("key", "id")
-        finer = k.where("large").select("id", F.explode(F.array(F.when(F.col("name") != 0, F.xxhash64("key", F.lit("n"), "name")), F.when(F.col("year") != 0, F.xxhash64("key", F.lit("y"), "year")))).alias("key"))
-        return small.unionByName(finer.where("key is not null").select("key", "id"))
-
-    return cut_large(h).withColumnRenamed("id", "hit").join(cut_large(r).withColumnRenamed("id", "rec"), "key").select("hit", "rec").distinct()
+    both = cut(both.select("key", (F.col("a") * F.col("b") > LARGE).alias("large")))
+    small, large = both.where("not large").select("key"), both.where("large").select("key")
+    a, b = h.join(small, "key", "left_semi"), r.join(small, "key", "left_semi")
+    if large.limit(1).count():
+        x, y = cut(h.join(large, "key", "left_semi")), cut(r.join(large, "key", "left_semi"))
+        finer = _finer(hits.join(x.select("id").distinct(), "id", "left_semi"), records.join(y.select("id").distinct(), "id", "left_semi"))
+        more = [k.join(s, "id").select(F.xxhash64("key", "sub").alias("key"), "id") for k, s in zip((x, y), finer)]
+        a, b = a.unionByName(more[0]), b.unionByName(more[1])
+    return a.withColumnRenamed("id", "hit").join(b.withColumnRenamed("id", "rec"), "key").select("hit", "rec").distinct()
 
 
 def compared(hits: DataFrame, records: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -277,6 +343,9 @@ def compared(hits: DataFrame, records: DataFrame, pairs: DataFrame) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
+            for k in (2, 7):
+                cols[k] = [x.split() for x in cols[k]]
+                cols[k + 2] = [x.split(";") if x else [] for x in cols[k + 2]]
             got = [levels(row[:5], row[5:]) for row in zip(*cols[2:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in got], pa.int32()), pa.array([ok for _, ok in got], pa.bool_())], names=["hit", "rec", "pattern", "allowed"])
 

@@ -63,6 +63,30 @@ def test_large_blocks_lose_no_pair_that_agrees(spark):
     assert {(k, 9000 + k % 400) for k in range(1600) if k % 400 % 10 == 0 and k < 400} <= got
 
 
+def test_large_blocks_keep_every_pair_that_the_check_allows(spark, monkeypatch):
+    words = ["harbour", "granite", "lantern", "meadow", "thistle", "copper", "saddle", "walnut"]
+    name = lambda k: f"{words[k % 8]}{words[k // 8 % 8]}ite"
+    hits = [(k, f"{name(k)} for strange walls a pattern using docket coding", ["Rosa Roe", f"Jane {words[k % 8]}son"], str(1900 + k), None, 0, "") for k in range(64)]
+    # a slip in the rare word, the people the other way round, the year one off: only the large block has the pair
+    recs = [(9000 + k, f"{name(k)[:3]}x{name(k)[3:]} for strange walls a pattern using docket coding", f"{words[k % 8]}son, Jane; Roe, Rosa", str(1901 + k), None, 0, "") for k in range(64)]
+    monkeypatch.setattr(linkage, "LARGE", 100)
+    got = {(x.hit_id, x.rec_id) for x in linkage.matches(spark.createDataFrame(hits, HIT), spark.createDataFrame(recs, REC)).collect()}
+    assert {(k, 9000 + k) for k in range(64)} <= got
+
+
+def test_finer_keys_lose_no_allowed_pair(spark, monkeypatch):
+    hits, records = table(spark, DATA, "search_hits"), table(spark, DATA, "catalog_records")
+    h = linkage._forms(hits.select("hit_id", "title", "authors", "year", "doi"), False)
+    r = linkage._forms(records.selectExpr("rec_id", "title_display", "coalesce(contributor, '')", "cast(pub_year as string)", "note"), True)
+
+    def allowed(large):
+        monkeypatch.setattr(linkage, "LARGE", large)
+        return {(x.hit, x.rec) for x in linkage.compared(h, r, linkage.candidates(h, r)).where("allowed").collect()}
+
+    whole = allowed(1 << 60)
+    assert whole and allowed(0) == whole
+
+
 def test_fit_separates_the_patterns():
     counts = np.zeros(int(np.prod(linkage.LEVELS)))
     at = lambda *x: int(np.ravel_multi_index(x, linkage.LEVELS))
