@@ -5,8 +5,8 @@ of a person, or the words of an organisation; which word of a name is the surnam
 commas, capitals, initials and, failing those, from how often each word stands first and last.
 Every form starts as a profile. Profiles merge
 
-* when their forms are a slip apart (blocks of one-letter deletions; each block links its forms
-  to its most frequent one and to the next), unless both readings are names of their own;
+* when their forms are a slip apart (all pairs in blocks of one-letter deletions or, of
+  organisations, of the beginnings and ends of words), unless both readings are names of their own;
 * when given name and surname agree and the middle initials of the two profiles do not clash;
 * when a short form (initials, a clipped or a pet name) fits one profile of its surname only;
 * when a short form stands where another record of the same work has one profile's name.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ from scholarmill.session import cut
 COUNTERS = 1 << 18
 #: From so many partners on, a word is a name of its own and not a slip of another.
 OWN = 3
-ROUNDS = 8
+#: So many links are put together by one task; more go through joins.
+LINKS = 1_000_000
 
 _NOBODY = re.compile(r"^\W*(?:et al|and others|others|unknown(?: author)?|anon(?:ymous)?|n/?a|none|null|nil|no author|various(?: authors)?|s\.?n|tba|author|editors?|-+|\?+)?\W*$", re.I)
 _EXTRA = re.compile(r"\((?:eds?|hrsg|author|dir|coord|trans)\.?\)|[*†‡§¶\d]+|\b(?:dr|prof|professor|mrs?|ms|phd|md|jr|sr)\b\.?", re.I)
@@ -132,6 +134,20 @@ def _deletions(text: str) -> set[str]:
     return {text, *(text[:k] + text[k + 1 :] for k in range(len(text)))}
 
 
+def org_keys(words: list[str]) -> set[int]:
+    """Two organisations that ``slip`` takes for one have a key in common.
+
+    Words in short have the first two letters of the whole word, and a slip leaves the first two
+    or the last two letters of a word; so with two slips at most, the words but two are known by
+    their beginnings and these two by beginnings or ends.
+    """
+    size = 1 << 64
+    starts = [lines.digest(w[:2]) for w in words]
+    moves = [lines.digest("~" + w[-2:]) - s for w, s in zip(words, starts)]
+    total = sum(starts) + lines.digest(f"#{len(words)}")
+    return {total % size, *((total + x) % size for x in moves), *((total + x + y) % size for x, y in combinations(moves, 2))}
+
+
 def slip(a: dict, b: dict) -> bool:
     """Whether two full forms may be one name with a slip (or, of organisations, with abbreviations)."""
     if a["kind"] != b["kind"]:
@@ -176,7 +192,7 @@ def _count(rows: DataFrame, *cols: str) -> list[np.ndarray]:
 
 
 _at = lambda w: lines.digest(w) % COUNTERS
-_FORM = "s string, n bigint, form bigint, kind string, given string, middle string, surname string, clipped boolean"
+_FORM = "s string, n bigint, form bigint, kind string, given string, middle string, surname string, clipped boolean, sid bigint"
 
 
 def _forms(spellings: DataFrame) -> DataFrame:
@@ -211,10 +227,10 @@ def _forms(spellings: DataFrame) -> DataFrame:
                     x, y = _at(words[0]), _at(words[-1])
                     swap = hint == "f" or (not hint and first[x] < last[x] and last[y] < first[y])
                     given, middle, surname = form(words, initials, swap)
-                out.append((s, n, lines.digest(f"{kind}|{given}|{middle}|{surname}|{clipped}"), kind, given, middle, surname, clipped))
-            cols = list(zip(*out)) or [()] * 8
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["s", "n", "form", "kind", "given", "middle", "surname", "clipped"])
+                out.append((s, n, lines.digest(f"{kind}|{given}|{middle}|{surname}|{clipped}"), kind, given, middle, surname, clipped, lines.digest(s)))
+            cols = list(zip(*out)) or [()] * 9
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["s", "n", "form", "kind", "given", "middle", "surname", "clipped", "sid"])
 
     return cut(spellings.mapInArrow(run, _FORM))
 
@@ -234,7 +250,7 @@ def _apart(lists: DataFrame) -> DataFrame:
                         by.setdefault(w, []).append(n)
                 for same in by.values():
                     if len(same) > 1:
-                        out.update((lines.digest(a), lines.digest(b)) for a, b in zip(same, same[1:]) if a != b)
+                        out.update((lines.digest(a), lines.digest(b)) for a, b in combinations(sorted(set(same)), 2))
             out |= {(b, a) for a, b in out}
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
@@ -262,50 +278,69 @@ def _works(lists: DataFrame) -> DataFrame:
 
 
 def _slips(forms: DataFrame, apart: DataFrame) -> DataFrame:
-    """``a, b``: full forms a slip apart, linked through blocks of one-letter deletions."""
+    """``a, b``: all full forms a slip apart; every two of them share a block."""
     full = forms.where("given != '' or kind = 'o'")
     pairs = full.where("kind = 'p'").select(F.xxhash64("given").alias("g"), F.xxhash64("surname").alias("s")).distinct()
-    org = full.where("kind = 'o'").select(F.explode(F.split("surname", " ")).alias("w")).select(F.xxhash64("w").alias("o"))
-    shared = forms.sparkSession.sparkContext.broadcast((*_count(pairs, "g", "s"), *_count(org, "o")))
+    shared = forms.sparkSession.sparkContext.broadcast(_count(pairs, "g", "s"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given_n, surname_n, org_n = shared.value
         for batch in batches:
             out = []
-            for f, n, kind, given, middle, surname, hg, hs, ho in zip(*(c.to_pylist() for c in batch.columns)):
+            for f, kind, given, surname in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == "o":
-                    own = dict(zip(surname.split(), (org_n[k] for k in ho)))
-                    rare = sorted(own, key=lambda w: (len(w) < 5, own[w], w))[:2]
-                    ks = {f"o{len(own)} {d}" for w in rare for d in _deletions(w)}
+                    out += [(k - (1 << 63), f) for k in org_keys(surname.split())]
                 else:
                     ks = {f"{given} {d}" for d in _deletions(surname)} | {f"{d} {surname}" for d in _deletions(given)} | {" ".join(sorted((given, surname)))}
-                out += [(lines.digest(k), f, n, kind, given, middle, surname, int(given_n[hg]), int(surname_n[hs])) for k in sorted(ks)]
-            cols = list(zip(*out)) or [()] * 9
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            names = ["key", "form", "n", "kind", "given", "middle", "surname", "own_given", "own_surname"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                    out += [(lines.digest(k), f) for k in ks]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([f for _, f in out], pa.int64())], names=["key", "form"])
 
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(COUNTERS)).cast("int")
-    source = full.groupBy("form").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("kind", "given", "middle", "surname")))
-    source = source.select("form", "n", "kind", "given", "middle", "surname", slot("given").alias("hg"), slot("surname").alias("hs"), F.transform(F.array_distinct(F.split("surname", " ")), slot).alias("ho"))
-    body = ("form", "n", "kind", "given", "middle", "surname", "own_given", "own_surname")
-    by = source.mapInArrow(keys, "key bigint, form bigint, n bigint, kind string, given string, middle string, surname string, own_given int, own_surname int")
-    order = "(partition by key order by n desc, form"
-    linked = by.select(F.struct(*body).alias("x"), F.expr(f"first_value(struct({', '.join(body)})) over {order})").alias("hub"), F.expr(f"lag(struct({', '.join(body)})) over {order})").alias("next"))
+    source = full.groupBy("form").agg(*(F.first(c).alias(c) for c in ("kind", "given", "middle", "surname")))
+    source = cut(source.select("form", "kind", "given", "middle", "surname", slot("given").alias("hg"), slot("surname").alias("hs")))
+    by = cut(source.select("form", "kind", "given", "surname").mapInArrow(keys, "key bigint, form bigint"))
+    met = by.withColumnRenamed("form", "a").join(by.withColumnRenamed("form", "b"), "key").where("a < b").select("a", "b").distinct()
+    body = ("kind", "given", "middle", "surname", "hg", "hs")
+    side = lambda c: source.select(F.col("form").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in body))
+    met = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for c in "ab" for x in body))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_n, surname_n = shared.value
+        whole = lambda kind, given, middle, surname, hg, hs: {"kind": kind, "given": given, "middle": middle, "surname": surname, "own_given": given_n[hg], "own_surname": surname_n[hs]}
         for batch in batches:
-            out = set()
-            for x, hub, nxt in zip(*(c.to_pylist() for c in batch.columns)):
-                out |= {(x["form"], y["form"]) for y in (hub, nxt) if y and y["form"] != x["form"] and slip(x, y)}
+            out = []
+            for a, b, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = whole(*rest[:6]), whole(*rest[6:])
+                if slip(x, y) or slip(y, x):
+                    out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    return linked.where("next is not null").mapInArrow(verify, "a bigint, b bigint").distinct().join(apart, ["a", "b"], "left_anti")
+    return met.mapInArrow(verify, "a bigint, b bigint").join(apart, ["a", "b"], "left_anti")
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest node that each node of all the links is connected with."""
+    parts = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+    if parts:
+        nodes, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        label = np.arange(len(nodes))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[label], pa.int64())], names=["a", "c"])
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``old, new``: the smallest node that each node of ``edges`` is connected with; nodes without edges keep themselves."""
     links = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    if links.count() <= LINKS:
+        new = cut(links.coalesce(1).mapInArrow(_labels, "a bigint, c bigint"))
+        return nodes.join(new.withColumnRenamed("a", "node"), "node", "left").select(F.col("node").alias("old"), F.coalesce("c", "node").alias("new"))
     at = cut(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select("a", "c"))
     while True:
         # the smallest label among the neighbours, then the label of the label
@@ -370,9 +405,7 @@ def _round(forms: DataFrame, comps: DataFrame, works: DataFrame, apart: DataFram
 def entities(hits: DataFrame, items: DataFrame) -> DataFrame:
     """``name, entity``: the entity of each spelling."""
     spellings, lists = _spellings(hits, items)
-    forms = _forms(spellings).withColumn("sid", F.col("form"))
-    sid = F.udf(lambda s: lines.digest(s), "bigint")
-    forms = cut(forms.withColumn("sid", sid("s")))
+    forms = _forms(spellings)
     lists = cut(lists)
     of = forms.select("sid", "form").distinct()
     apart = _apart(lists)
@@ -381,7 +414,7 @@ def entities(hits: DataFrame, items: DataFrame) -> DataFrame:
     edges = cut(_slips(forms, apart))
     nodes = forms.select(F.col("form").alias("node")).distinct()
     comps = cut(_components(nodes, edges).select(F.col("old").alias("form"), F.col("new").alias("comp")))
-    for _ in range(ROUNDS):
+    while True:  # a round that merges leaves fewer profiles
         merge = cut(_round(forms, comps, works, apart))
         if not merge.limit(1).count():
             break
