@@ -1,5 +1,6 @@
 from string import ascii_uppercase
 
+import __spark_entry__ as entry
 from scholarmill.llm import names
 
 HIT = "title string, authors array<string>"
@@ -22,7 +23,7 @@ def test_cases(spark):
         ("MBUSKIRU Richard", "Richard L. Mbuskiru"), ("MBUSKIRU Richard", "Richard Mbuskiru"), ("Richard L. Mbuskiru", "Richard Mbuskiru"),
         ("Acad. Soc. Inq. Traijain", "Traijain Academy of Social Inquiry"),
     }
-    assert pairs(spark, []) == set()
+    assert pairs(spark, []) == set() and "p1_found" in entry.queries()
 
 
 def test_every_pair_of_a_block_is_compared(spark):
