@@ -372,7 +372,7 @@ def _round(forms: DataFrame, comps: DataFrame, works: DataFrame, apart: DataFram
     start = full.withColumn("i", F.substring("given", 1, 1))
     known = start.select(key("#i", "surname", "i").alias("k"), "comp").unionByName(start.join(middles, "comp").select(key("#m", "surname", "i", "m").alias("k"), "comp"))
     known = known.unionByName(full.where("length(given) > 3").select(F.xxhash64(F.lit("#c"), "surname", F.substring("given", 1, 3)).alias("k"), "comp"))
-    known = known.unionByName(full.select(F.xxhash64(F.lit("#p"), "surname", "given").alias("k"), "comp")).distinct()
+    known = known.unionByName(full.select(F.xxhash64(F.lit("#p"), "surname", "given").alias("k"), "comp"))
     short = f.where("given = '' and middle != ''").withColumn("i", F.substring("middle", 1, 1)).withColumn("m", F.substring("middle", 2, 1))
     ask = short.select("comp", F.when(F.col("m") != "", key("#m", "surname", "i", "m")).otherwise(key("#i", "surname", "i")).alias("k"))
     pets = forms.sparkSession.createDataFrame([(p, n) for p, names in PET.items() for n in names], "given string, whole string")
@@ -384,22 +384,22 @@ def _round(forms: DataFrame, comps: DataFrame, works: DataFrame, apart: DataFram
     drop = F.expr("concat(array(surname), transform(sequence(1, length(surname)), k -> concat(left(surname, k - 1), substring(surname, k + 1))))")
     lost = short.join(start.select("surname", "i").distinct(), ["surname", "i"], "left_anti")
     near = lambda rows: rows.select("comp", "i", F.explode(drop).alias("d")).select("comp", F.xxhash64(F.lit("#d"), "i", "d").alias("k"))
-    ask, known = ask.unionByName(near(lost)), known.unionByName(near(start).distinct())
+    ask, known = ask.unionByName(near(lost)), known.unionByName(near(start))
     # a pet or clipped name is itself among the profiles that its key may meet, so it is left out of the count
-    met = ask.withColumnRenamed("comp", "a").join(known, "k").where("a != comp").distinct()
-    fits = met.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").select("a", F.col("x").alias("b"))
+    met = ask.withColumnRenamed("comp", "a").join(known, "k").where("a != comp")
+    fits = cut(met.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").select("a", F.col("x").alias("b")))
 
     # short forms at the place of one profile's name in another record of the work
     seen = works.join(f.select("sid", "comp", "given", "middle", "surname"), "sid")
-    lone = short.select("comp").distinct().join(fits.select(F.col("a").alias("comp")), "comp", "left_anti")
+    lone = short.select("comp").join(fits.select(F.col("a").alias("comp")), "comp", "left_anti")
     here = seen.where("given = '' and middle != ''").join(lone, "comp", "left_semi").select("work", "surname", F.col("comp").alias("a"), F.substring("middle", 1, 1).alias("i"), F.substring("middle", 2, 1).alias("m"))
     there = seen.where("given != ''").select("work", "surname", F.col("comp").alias("b"), F.substring("given", 1, 1).alias("i"), F.substring("middle", 1, 1).alias("n")).distinct()
-    voted = here.distinct().join(there, ["work", "surname", "i"]).where("m = '' or n = '' or m = n").select("a", "b").distinct()
+    voted = here.join(there, ["work", "surname", "i"]).where("m = '' or n = '' or m = n").select("a", "b")
     voted = voted.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("y")).where("b = y and a != b").select("a", "b")
 
     ids = comps.select(F.col("form").alias("a"), F.col("comp").alias("ca"))
-    split = apart.join(ids, "a").join(comps.select(F.col("form").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    return single.unionByName(several).unionByName(fits).unionByName(voted).where("a != b").distinct().join(split, ["a", "b"], "left_anti")
+    split = apart.join(ids, "a").join(comps.select(F.col("form").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return single.unionByName(several).unionByName(fits).unionByName(voted).where("a != b").join(split, ["a", "b"], "left_anti")
 
 
 def entities(hits: DataFrame, items: DataFrame) -> DataFrame:
