@@ -353,53 +353,131 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         at = new
 
 
-def _round(forms: DataFrame, comps: DataFrame, works: DataFrame, apart: DataFrame) -> DataFrame:
-    """``a, b``: profiles that the present profiles' names and initials merge."""
-    f = cut(forms.where("kind = 'p'").join(comps, "form"))
-    middles = f.where("given != '' and middle != ''").select("comp", F.substring("middle", 1, 1).alias("m")).distinct()
-    full = f.where("given != ''").select("comp", "given", "surname").distinct()
-    one = lambda keyed: keyed.groupBy("k").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    key = lambda *c: F.xxhash64(*(F.lit(x) if isinstance(x, str) and x.startswith("#") else F.col(x) for x in c))
+#: What a row of a key is, in the order in which the rows of a key are read.
+KNOWN, ASK, THERE, HERE, NAMED = range(5)
+_KEYED = "k bigint, role int, m string, form bigint"
 
-    # the same given name and surname: all of them if one middle initial is known at most, else those with the same
-    both = full.join(middles, "comp", "left")
-    named = both.groupBy("given", "surname").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("m").alias("m0"), F.max("m").alias("m1"))
-    single = full.join(named.where("x != y and (m0 is null or m0 = m1)"), ["given", "surname"]).select(F.col("comp").alias("a"), F.col("x").alias("b"))
-    several = both.where("m is not null").groupBy("given", "surname", "m").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    several = both.join(several.where("x != y"), ["given", "surname", "m"]).select(F.col("comp").alias("a"), F.col("x").alias("b"))
-
-    # short forms that fit one profile: by initial (and middle initial), by a clipped name, by a pet name
-    start = full.withColumn("i", F.substring("given", 1, 1))
-    known = start.select(key("#i", "surname", "i").alias("k"), "comp").unionByName(start.join(middles, "comp").select(key("#m", "surname", "i", "m").alias("k"), "comp"))
-    known = known.unionByName(full.where("length(given) > 3").select(F.xxhash64(F.lit("#c"), "surname", F.substring("given", 1, 3)).alias("k"), "comp"))
-    known = known.unionByName(full.select(F.xxhash64(F.lit("#p"), "surname", "given").alias("k"), "comp"))
-    short = f.where("given = '' and middle != ''").withColumn("i", F.substring("middle", 1, 1)).withColumn("m", F.substring("middle", 2, 1))
-    ask = short.select("comp", F.when(F.col("m") != "", key("#m", "surname", "i", "m")).otherwise(key("#i", "surname", "i")).alias("k"))
-    pets = forms.sparkSession.createDataFrame([(p, n) for p, names in PET.items() for n in names], "given string, whole string")
-    ask = ask.unionByName(f.where("given != ''").join(F.broadcast(pets), "given").select("comp", F.xxhash64(F.lit("#p"), "surname", "whole").alias("k")))
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out)) or [()] * 4
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["k", "role", "m", "form"])
+
+
+def _keyed(forms: DataFrame, people: DataFrame, works: DataFrame) -> DataFrame:
+    """``k, role, m, form``: what does not change as profiles merge.
+
+    ASK and KNOWN: short forms and the full forms that they may fit, by initial (and middle
+    initial), by a clipped name, by a pet name. HERE and THERE: short and full forms in the lists
+    of one work, with their middle initials.
+    """
+    full = people.where("given != ''")
     owned = full.groupBy("given").agg(F.countDistinct("surname").alias("own"))
-    cuts = f.where("length(given) = 3 or (clipped and length(given) > 2)").join(owned, "given").where(f"clipped or own < {OWN} * 4")
-    ask = ask.unionByName(cuts.select("comp", F.xxhash64(F.lit("#c"), "surname", F.substring("given", 1, 3)).alias("k")))
-    # an initial whose surname no profile has: surnames a letter away
-    drop = F.expr("concat(array(surname), transform(sequence(1, length(surname)), k -> concat(left(surname, k - 1), substring(surname, k + 1))))")
-    lost = short.join(start.select("surname", "i").distinct(), ["surname", "i"], "left_anti")
-    near = lambda rows: rows.select("comp", "i", F.explode(drop).alias("d")).select("comp", F.xxhash64(F.lit("#d"), "i", "d").alias("k"))
-    ask, known = ask.unionByName(near(lost)), known.unionByName(near(start))
-    # a pet or clipped name is itself among the profiles that its key may meet, so it is left out of the count
-    met = ask.withColumnRenamed("comp", "a").join(known, "k").where("a != comp")
-    fits = cut(met.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").select("a", F.col("x").alias("b")))
-
-    # short forms at the place of one profile's name in another record of the work
-    seen = works.join(f.select("sid", "comp", "given", "middle", "surname"), "sid")
-    lone = short.select("comp").join(fits.select(F.col("a").alias("comp")), "comp", "left_anti")
-    here = seen.where("given = '' and middle != ''").join(lone, "comp", "left_semi").select("work", "surname", F.col("comp").alias("a"), F.substring("middle", 1, 1).alias("i"), F.substring("middle", 2, 1).alias("m"))
-    there = seen.where("given != ''").select("work", "surname", F.col("comp").alias("b"), F.substring("given", 1, 1).alias("i"), F.substring("middle", 1, 1).alias("n")).distinct()
-    voted = here.join(there, ["work", "surname", "i"]).where("m = '' or n = '' or m = n").select("a", "b")
-    voted = voted.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("y")).where("b = y and a != b").select("a", "b")
+    met = full.select("surname", F.substring("given", 1, 1).alias("i")).distinct().withColumn("met", F.lit(True))
+    facts = people.withColumn("i", F.when(F.col("given") == "", F.substring("middle", 1, 1)).otherwise(F.substring("given", 1, 1)))
+    facts = facts.join(owned, "given", "left").join(met, ["surname", "i"], "left").select("form", "given", "middle", "surname", "clipped", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("met", F.lit(False)).alias("met"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for f, given, middle, surname, clipped, own, met in zip(*(c.to_pylist() for c in batch.columns)):
+                put = lambda role, *key: out.append((lines.digest("|".join(key)), role, "", f))  # noqa: B023, E731
+                if not given:
+                    if middle:
+                        put(ASK, "#m", surname, middle[0], middle[1]) if len(middle) > 1 else put(ASK, "#i", surname, middle[0])
+                        if not met:  # an initial whose surname no profile has: surnames a letter away
+                            for d in _deletions(surname):
+                                put(ASK, "#d", middle[0], d)
+                    continue
+                put(KNOWN, "#i", surname, given[0])
+                put(KNOWN, "#p", surname, given)
+                if len(given) > 3:
+                    put(KNOWN, "#c", surname, given[:3])
+                for d in _deletions(surname):
+                    put(KNOWN, "#d", given[0], d)
+                for whole in PET.get(given, ()):
+                    put(ASK, "#p", surname, whole)
+                if (len(given) == 3 or (clipped and len(given) > 2)) and (clipped or own < OWN * 4):
+                    put(ASK, "#c", surname, given[:3])
+            yield _rows(out)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for work, f, given, middle, surname in zip(*(c.to_pylist() for c in batch.columns)):
+                if given or middle:
+                    out.append((lines.digest(f"#w|{work}|{surname}|{(given or middle)[0]}"), THERE if given else HERE, middle[:1] if given else middle[1:2], f))
+            yield _rows(out)
+
+    keyed = cut(facts.mapInArrow(keys, _KEYED))
+    asked = keyed.where(f"role = {KNOWN}").join(keyed.where(f"role = {ASK}").select("k").distinct(), "k", "left_semi")
+    at = works.join(forms.where("kind = 'p'").select("sid", "form", "given", "middle", "surname"), "sid").select("work", "form", "given", "middle", "surname")
+    return cut(keyed.where(f"role = {ASK}").unionByName(asked).unionByName(at.mapInArrow(seen, _KEYED).distinct()))
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of profiles that hang on all their forms: names with middle initials, initials of two names."""
+    for batch in batches:
+        out = []
+        for comp, names, middles in zip(*(c.to_pylist() for c in batch.columns)):
+            for x in names:
+                given, surname = x["given"], x["surname"]
+                k = lines.digest(f"#n|{given}|{surname}")
+                out += [(k, NAMED, m, comp) for m in middles or ("",)]
+                out += [(lines.digest(f"#m|{surname}|{given[0]}|{m}"), KNOWN, "", comp) for m in middles]
+        yield _rows(out)
+
+
+def _merge(k: list[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
+    """``a, b, level`` of the rows of one key: 0 a fit, 1 a vote, 2 a merge."""
+    out = []
+    known = sorted({c for role, _, c in k if role == KNOWN})
+    for a in {c for role, _, c in k if role == ASK} if known else ():
+        # a pet or clipped name is itself among the profiles that its key may meet, so it is left out of the count
+        x, y = known[known[0] == a :][:1], known[: -1 if known[-1] == a else None][-1:]
+        out += [(a, b, 0) for b in {*x, *y}]
+    there = {(c, m) for role, m, c in k if role == THERE}
+    for a, m in {(c, m) for role, m, c in k if role == HERE} if there else ():
+        fit = [c for c, n in there if not m or not n or m == n]
+        out += [(a, b, 1) for b in {min(fit), max(fit)}] if fit else []
+    named = {(c, m) for role, m, c in k if role == NAMED}
+    # the same given name and surname: all of them if one middle initial is known at most, else those with the same
+    kinds = {m for _, m in named if m}
+    for m in kinds if len(kinds) > 1 else ("",):
+        same = {c for c, n in named if len(kinds) < 2 or n == m}
+        out += [(c, min(same), 2) for c in same if c != min(same)]
+    return out
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b, level`` of rows sorted by key."""
+    last, rows = None, []
+    for batch in batches:
+        out = []
+        for k, role, m, c in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != last:
+                out += _merge(rows) if len(rows) > 1 else []
+                last, rows = k, []
+            rows.append((role, m, c))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["a", "b", "level"])
+    out = _merge(rows) if len(rows) > 1 else []
+    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["a", "b", "level"])
+
+
+def _round(people: DataFrame, keyed: DataFrame, comps: DataFrame, apart: DataFrame) -> DataFrame:
+    """``a, b``: profiles that the present profiles' names and initials merge."""
+    middles = F.collect_set(F.when(F.col("middle") != "", F.substring("middle", 1, 1)))
+    profiles = people.where("given != ''").join(comps, "form").groupBy("comp").agg(F.collect_set(F.struct("given", "surname")).alias("names"), middles.alias("middles"))
+    of = keyed.join(comps, "form").select("k", "role", "m", F.col("comp").alias("form"))
+    rows = of.unionByName(profiles.mapInArrow(_profiles, _KEYED))
+    met = rows.repartition("k").sortWithinPartitions("k").mapInArrow(_by_key, "a bigint, b bigint, level bigint")
+    # a short form that fits one profile only goes there, else where the lists of its works have one profile only
+    one = lambda level: F.when(F.min(F.when(F.col("level") == level, F.col("b"))) == F.max(F.when(F.col("level") == level, F.col("b"))), F.min(F.when(F.col("level") == level, F.col("b"))))
+    met = met.withColumn("c", F.when(F.col("level") == 2, F.col("b"))).groupBy("a", "c").agg(F.coalesce("c", one(0), one(1)).alias("b")).where("b is not null and a != b").select("a", "b")
 
     ids = comps.select(F.col("form").alias("a"), F.col("comp").alias("ca"))
     split = apart.join(ids, "a").join(comps.select(F.col("form").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    return single.unionByName(several).unionByName(fits).unionByName(voted).where("a != b").join(split, ["a", "b"], "left_anti")
+    return met.join(split, ["a", "b"], "left_anti")
 
 
 def entities(hits: DataFrame, items: DataFrame) -> DataFrame:
@@ -414,8 +492,10 @@ def entities(hits: DataFrame, items: DataFrame) -> DataFrame:
     edges = cut(_slips(forms, apart))
     nodes = forms.select(F.col("form").alias("node")).distinct()
     comps = cut(_components(nodes, edges).select(F.col("old").alias("form"), F.col("new").alias("comp")))
+    people = cut(forms.where("kind = 'p'").select("form", "given", "middle", "surname", "clipped").distinct())
+    keyed = _keyed(forms, people, works)
     while True:  # a round that merges leaves fewer profiles
-        merge = cut(_round(forms, comps, works, apart))
+        merge = cut(_round(people, keyed, comps, apart))
         if not merge.limit(1).count():
             break
         moved = _components(comps.select(F.col("comp").alias("node")).distinct(), merge)

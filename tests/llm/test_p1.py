@@ -48,3 +48,14 @@ def test_org_keys_meet_where_slip_says_so():
         assert names.slip(a, b) or names.slip(b, a)
         assert names.org_keys(sorted(whole)) & names.org_keys(sorted(other))
     assert not names.org_keys(whole) & names.org_keys([*whole[:4], "history"])
+
+
+def test_plans_are_few_for_the_driver(spark):
+    """The driver keeps every plan: all those of a small run together have so many nodes at most."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    count = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty() or store.executionsCount()
+    before = count()
+    hits = [("Tides of a northern reef", ["Maria Kalos", "Ina Ruud"]), ("Tides of a northern reef", ["M. Kalos", "Ina Ruud"]), (None, ["Kallos, Maria"])]
+    assert len(pairs(spark, hits)) == 3
+    ids = [store.executionsList().apply(k).executionId() for k in range(before, count())]
+    assert sum(store.planGraph(k).allNodes().size() for k in ids) < 640
